@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts, toxicity
+from . import jaccard, packing, token_counts, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op1_packing, token_counts.op2_token_counts, toxicity.op5_toxicity)}
+QUERIES = {f.__name__: f for f in (packing.op1_packing, token_counts.op2_token_counts, toxicity.op5_toxicity, jaccard.op9_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
