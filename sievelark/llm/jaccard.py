@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
 from .lineage import cut
+from .linking import link
 from .words import Words, mix, sorted_sets, text_slices
 
 #: Pairs that a task gathers before it sends them.
@@ -266,34 +266,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
     return pairs.join(second, "v").join(first, "u").mapInArrow(run, "u bigint, v bigint")
 
 
-def _fits(alike: Alike, n1: str, p1: str, n2: str, p2: str):
-    """Length and positional filters on two prefix rows of one token."""
-    a, b = F.col(n1), F.col(n2)
-    return (100 * F.least(a, b) >= alike.percent * F.greatest(a, b)) & ((100 + alike.percent) * F.least(a - F.col(p1), b - F.col(p2)) >= alike.percent * (a + b))
-
-
-def _each_once(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def _stars(rows: DataFrame, alike: Alike) -> DataFrame:
-    """Pairs of each token's most central row with its rows of other components."""
-    pivot = rows.groupBy("token").agg(F.max(F.struct("central", (-F.col("id")).alias("k"), "id", "n", "pos", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    pivot = pivot.select("token", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.comp").alias("pcomp"))
-    near = rows.join(pivot, "token").where(F.col("comp") != F.col("pcomp")).where(_fits(alike, "n", "pos", "pn", "ppos"))
-    return _each_once(near.select(F.col("id").alias("u"), F.col("pid").alias("v")))
-
-
-def _across(rows: DataFrame, alike: Alike) -> DataFrame:
-    """All pairs of rows of one token in different components."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    left = rows.join(mixed, "token")
-    right = left.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
-    pairs = left.join(right, "token").where("comp < comp2").where(_fits(alike, "n", "pos", "n2", "pos2"))
-    return _each_once(pairs.select(F.col("id").alias("u"), F.col("id2").alias("v")))
-
-
-def groups(documents: DataFrame, alike: Alike = Alike(), stars: int = 2) -> DataFrame:
+def groups(documents: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row with a doc_id."""
     docs = cut(token_rows(documents, alike))
     sets = docs.where("n > 0").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("holder"))
@@ -306,24 +279,12 @@ def groups(documents: DataFrame, alike: Alike = Alike(), stars: int = 2) -> Data
     # rows sharing a doc_id are one document: their classes link
     several = docs.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     same = docs.join(several, "doc_id").join(sets, ["print1", "print2", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))
-    links, tried = same, None
-    for k in range(stars + 1):
-        label = components(links) if k else None
-        if k:
-            now = rows.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        else:
-            now = rows.withColumn("comp", F.col("id"))
-        now = cut(now) if k else now
-        pairs = _stars(now, alike) if k < stars else _across(now, alike)
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
-        if k and pairs.isEmpty():
-            break
-        found = cut(verify(pairs, nodes, alike))
-        links = links.unionByName(found) if k == 0 else label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-    label = cut(components(links))
+    def fits(a, b):  # length and positional filters
+        small, large = F.least(a("n"), b("n")), F.greatest(a("n"), b("n"))
+        rest = F.least(a("n") - a("pos"), b("n") - b("pos"))
+        return (100 * small >= alike.percent * large) & ((100 + alike.percent) * rest >= alike.percent * (small + large))
+
+    label = link(rows, fits, lambda pairs: verify(pairs, nodes, alike), given=None if same.isEmpty() else same)
     member = docs.join(sets.select("print1", "print2", "n", "id"), ["print1", "print2", "n"], "left")
     out = member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("id", "doc_id").alias("node")).join(label, "node", "left")
     known = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
