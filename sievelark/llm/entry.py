@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, packing, token_counts, toxicity
+from . import jaccard, lines, mixing, packing, token_counts, toxicity
 
-QUERIES = {f.__name__: f for f in (packing.op1_packing, token_counts.op2_token_counts, toxicity.op5_toxicity, jaccard.op9_ngram_jaccard, lines.op8_line_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (packing.op1_packing, token_counts.op2_token_counts, toxicity.op5_toxicity, jaccard.op9_ngram_jaccard, lines.op8_line_dedup, mixing.op6_mixing)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.oracle()}

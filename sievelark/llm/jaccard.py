@@ -303,6 +303,16 @@ def _unnamed(documents: DataFrame, alike: Alike) -> DataFrame:
     return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is null").mapInArrow(run, "doc_id bigint, n_shingles bigint, component_id bigint")
 
 
+def one_of_each(documents: DataFrame, alike: Alike = Alike()) -> DataFrame:
+    """`documents`, all columns, without those whose group has a document of a smaller doc_id; of rows that share a doc_id, one."""
+    found = cut(groups(documents, alike).where("doc_id is not null"))
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    if found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
