@@ -6,8 +6,8 @@ Two sets that are alike enough share a shingle among the first few of both, so o
 length, positional and suffix filters drop most pairs before one verification each.
 
 1. One pass over whole texts hashes shingles (numpy, whole Arrow batches). Each task sends its (shingle, document)
-   pairs to buckets by shingle, packed in binary columns, so the shuffle has few rows and about 9 bytes a
-   pair. Copies within a task send their pairs once. A shingle found in many documents of one task is
+   pairs to buckets by shingle, packed in binary columns in document order (56 bits of the hash, and documents in runs), so the
+   shuffle has few rows and under 7 bytes a pair. Copies within a task send their pairs once. A shingle found in many documents of one task is
    hot: one mark goes to its bucket, and its pairs go straight to the documents, so no bucket
    gathers a hot shingle's pairs.
 2. A bucket counts document frequencies. Shingles of one document only can't match and go no further; the
@@ -43,7 +43,7 @@ from .linking import link
 from .words import Words, mix, sorted_sets, text_slices
 
 #: Pairs that a task gathers before it sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: A shingle in so many documents of one flush is hot.
 HOT = 16
 _TOP = np.uint64(255 << 56)
@@ -63,17 +63,20 @@ class Alike:
         return n - (self.percent * n + 99) // 100 + 1
 
 
-def planes(x: np.ndarray) -> bytes:
-    """64-bit integers by byte planes, highest first, so that the shuffle's compression finds what is constant or runs."""
-    return x.view(np.uint8).reshape(-1, 8)[:, ::-1].T.tobytes()
+def planes(x: np.ndarray, width: int = 8) -> bytes:
+    """64-bit integers by byte planes, highest first, so that the shuffle's compression finds what is constant or runs. width: how many of the upper bytes go."""
+    return x.view(np.uint8).reshape(-1, 8)[:, ::-1][:, :width].T.tobytes()
 
 
-def from_planes(x: bytes, kind=np.uint64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1)[::-1].T).view(kind).reshape(-1)
+def from_planes(x: bytes, kind=np.uint64, width: int = 8) -> np.ndarray:
+    own = np.frombuffer(x, np.uint8).reshape(width, -1)
+    out = np.zeros((own.shape[1], 8), np.uint8)
+    out[:, 8 - width :] = own[::-1].T
+    return out.view(kind).reshape(-1)
 
 
-def _joined(column: pa.ChunkedArray, kind=np.uint64) -> np.ndarray:
-    parts = [from_planes(x, kind) for x in column.to_pylist() if x]
+def _joined(column: pa.ChunkedArray, kind=np.uint64, width: int = 8) -> np.ndarray:
+    parts = [from_planes(x, kind, width) for x in column.to_pylist() if x]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -99,31 +102,33 @@ def _send(buckets: int, alike: Alike):
             nonlocal held
             key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             doc = np.repeat(np.array(owners, np.int64), [len(x) for x in sets]) if sets else np.zeros(0, np.int64)
-            order = np.argsort(key)
-            key, doc = key[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            run_length = np.diff(np.append(first, len(key)))
-            marks = key[first[run_length >= HOT]]
-            hot = np.repeat(run_length >= HOT, run_length)
+            sort = np.sort(key)
+            first = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]])) if len(key) else np.zeros(0, np.int64)
+            marks = sort[first[np.diff(np.append(first, len(key))) >= HOT]]
+            near = np.searchsorted(marks, key)
+            hot = (marks[np.minimum(near, len(marks) - 1)] == key) if len(marks) else np.zeros(len(key), bool)
             over_key, over_doc = key[hot], doc[hot]
+            key, doc = key[~hot], doc[~hot]
+            home = (key >> shift).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+            order = np.argsort(home, kind="stable")
+            key, doc, goes = key[order], doc[order], home[order]
             to = (mix(over_doc.view(np.uint64)) >> shift).astype(np.int64) if shift < 64 else np.zeros(len(over_doc), np.int64)
             order = np.argsort(to, kind="stable")
             over_key, over_doc, to = over_key[order], over_doc[order], to[order]
-            key, doc = key[~hot], doc[~hot]
             table = np.array(rows, np.uint64).reshape(-1, 4)
             home = (mix(table[:, 0].copy()) >> shift).astype(np.int64)
             order = np.argsort(home, kind="stable")
             table, home = table[order], home[order]
             edges = np.arange(buckets + 1)
             cuts = lambda x: np.searchsorted(x, edges)
-            a, m, o, r = cuts((key >> shift).astype(np.int64)), cuts((marks >> shift).astype(np.int64)), cuts(to), cuts(home)
+            a, m, o, r = cuts(goes.astype(np.int64)), cuts((marks >> shift).astype(np.int64)), cuts(to), cuts(home)
             some = [b for b in range(buckets) if a[b + 1] > a[b] or m[b + 1] > m[b] or o[b + 1] > o[b] or r[b + 1] > r[b]]
             cols = [
                 pa.array(some, pa.int32()),
-                pa.array([planes(key[a[b] : a[b + 1]]) for b in some], pa.binary()),
+                pa.array([planes(key[a[b] : a[b + 1]], 7) for b in some], pa.binary()),
                 pa.array([planes(doc[a[b] : a[b + 1]]) for b in some], pa.binary()),
-                pa.array([planes(marks[m[b] : m[b + 1]]) for b in some], pa.binary()),
-                pa.array([planes(over_key[o[b] : o[b + 1]]) for b in some], pa.binary()),
+                pa.array([planes(marks[m[b] : m[b + 1]], 7) for b in some], pa.binary()),
+                pa.array([planes(over_key[o[b] : o[b + 1]], 7) for b in some], pa.binary()),
                 pa.array([planes(over_doc[o[b] : o[b + 1]]) for b in some], pa.binary()),
                 pa.array([planes(np.ascontiguousarray(table[r[b] : r[b + 1]].reshape(-1))) for b in some], pa.binary()),
             ]
@@ -139,7 +144,8 @@ def _send(buckets: int, alike: Alike):
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             for first, part in text_slices(batch["text"]):
                 hashes, bounds = Words(part).shingles(alike.words)
-                for k, own in enumerate(sorted_sets(hashes, bounds)):
+                # the upper 56 bits stand for a shingle from here on
+                for k, own in enumerate(sorted_sets(hashes & ~np.uint64(255), bounds)):
                     doc = int(ids[first + k])
                     with np.errstate(over="ignore"):
                         print_ = (int(np.bitwise_xor.reduce(mix(own + np.uint64(1)))), int(np.add.reduce(mix(own ^ _TOP)))) if len(own) else (0, 0)
@@ -161,8 +167,8 @@ def _count(groups: int):
     """A bucket's rows to one row per document group: shared pairs as sortable tokens, and rows of documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        key, doc = _joined(table["keys"]), _joined(table["key_docs"], np.int64)
-        marks = np.unique(_joined(table["marks"]))
+        key, doc = _joined(table["keys"], width=7), _joined(table["key_docs"], np.int64)
+        marks = np.unique(_joined(table["marks"], width=7))
         order = np.argsort(key, kind="stable")
         key, doc = key[order], doc[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -176,7 +182,7 @@ def _count(groups: int):
         kind = np.where(hot, 255, np.minimum(254, np.floor(8 * np.log2(np.maximum(size, 2))))).astype(np.uint64)
         keep = np.repeat(several | hot, size)
         token = (np.repeat(kind, size)[keep] << np.uint64(56)) | (key[keep] >> np.uint64(8))
-        over = _TOP | (_joined(table["over"]) >> np.uint64(8))
+        over = _TOP | (_joined(table["over"], width=7) >> np.uint64(8))
         token, doc = np.concatenate([token, over]), np.concatenate([doc[keep], _joined(table["over_docs"], np.int64)])
         rows = _joined(table["docs"]).reshape(-1, 4)
         place = lambda d: (mix(d.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
