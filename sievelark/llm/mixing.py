@@ -29,7 +29,7 @@ DIMENSIONS = ("source", "lang", "topic")
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Powers of the values' own shares that give the targets where none are given.
 TEMPER = {"source": 0.7, "lang": 1.0, "topic": 1.0}
-ROUNDS = 12
+ROUNDS = 6
 #: A list of cells of so many rows at most is broadcast; a longer one is joined by key.
 MOST_BROADCAST = 100_000
 
