@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .suffixes import let
+
 # Magic prefixes in order of test, extension lists and type families that results depend on.
 MAGIC = [
     ("255044462D", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("474946383761", "image/gif"), ("474946383961", "image/gif"),
@@ -62,6 +64,10 @@ def _family(value: Column, families: dict[str, list[str]]) -> Column:
 
 def detected_type(content: Column) -> Column:
     """By leading bytes; markup within the first 1,024 (after a byte-order mark, an XML declaration, comments and blanks)."""
+    return let(content, _detected)
+
+
+def _detected(content: Column) -> Column:
     out = None
     for prefix, kind in MAGIC:
         test = F.startswith(content, F.unhex(F.lit(prefix)))
@@ -81,8 +87,8 @@ def _has_directory(content: Column) -> Column:
 
 def extensions(name: Column) -> Column:
     """Lower-case parts after the first dot; dots and blanks at the end don't count."""
-    base = F.regexp_replace(F.lower(name), r"[.\s]+$", "")
-    return F.when(name.isNull() | ~F.contains(base, F.lit(".")), F.array().cast("array<string>")).otherwise(F.slice(F.split(base, r"\."), F.lit(2), F.greatest(F.size(F.split(base, r"\.")) - 1, F.lit(0))))
+    pieces = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[.\s]+$", ""), r"\.")
+    return let(pieces, lambda p: F.slice(p, F.lit(2), F.size(p)))
 
 
 def last_extension(name: Column) -> Column:
@@ -91,8 +97,12 @@ def last_extension(name: Column) -> Column:
 
 def flags(name: Column, declared: Column, detected: Column, encrypted: Column) -> Column:
     """The flags that hold, in their fixed order."""
-    last, parts = last_extension(name), extensions(name)
-    declared = F.lower(F.coalesce(declared, F.lit("")))
+    given = F.struct(name.alias("name"), F.lower(F.coalesce(declared, F.lit(""))).alias("declared"), detected.alias("detected"), encrypted.alias("encrypted"), extensions(name).alias("parts"))
+    return let(given, lambda g: _flags(g["name"], g["declared"], g["detected"], g["encrypted"], g["parts"]))
+
+
+def _flags(name: Column, declared: Column, detected: Column, encrypted: Column, parts: Column) -> Column:
+    last = F.try_element_at(parts, F.lit(-1))
     yes = lambda c: F.coalesce(c, F.lit(False))
     is_archive = (detected.isin(ARCHIVE_TYPES) & ~yes(last.isin(OOXML_EXTENSIONS))) | yes(last.isin(ARCHIVE_EXTENSIONS))
     bidi = F.regexp_like(F.coalesce(name, F.lit("")), F.lit(f"[{BIDI}]"))

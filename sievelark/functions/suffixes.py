@@ -26,6 +26,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def mapped(values: pd.Series, function: Callable[[str], object]) -> pd.Series:
+    """function of each text, made once for each different one; null stays null."""
+    seen = {v: function(v) for v in set(values.dropna())}
+    return pd.Series([seen[v] if isinstance(v, str) else None for v in values], dtype=object)
+
+
 def normalized(host: str) -> str:
     return host.strip().strip(".").casefold()
 
@@ -74,8 +80,7 @@ def registrable_domain(host: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("string")
     def run(hosts: pd.Series) -> pd.Series:
-        seen = {h: registrable(h, shared.value) for h in hosts.dropna().unique()}
-        return hosts.map(seen)
+        return mapped(hosts, lambda h: registrable(h, shared.value))
 
     return run(host)
 
@@ -85,8 +90,7 @@ def registrable_label(host: Column, path: str | None = None) -> Column:
 
     @F.pandas_udf("string")
     def run(hosts: pd.Series) -> pd.Series:
-        seen = {h: split_host(h, shared.value)[0] for h in hosts.dropna().unique()}
-        return hosts.map(seen)
+        return mapped(hosts, lambda h: split_host(h, shared.value)[0])
 
     return run(host)
 

@@ -59,69 +59,76 @@ def domain_of_email(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.trim(F.regexp_extract(value, "@(.*)$", 1)), r"\.+$", ""), F.lit(""))
 
 
-def _found(frame: DataFrame, stage: int, kind: str, values: Column, provenance) -> DataFrame:
-    own = frame.select("msg_id", F.posexplode(F.array_distinct(values)).alias("place", "value"), (provenance if isinstance(provenance, Column) else F.lit(provenance)).alias("provenance"))
-    return own.where("value is not null and value <> ''").select("msg_id", F.lit(stage).alias("stage"), "place", F.lit(kind).alias("type"), "value", "provenance", F.lit(False).alias("navigation"))
+def _entries(stage: Column | int, kind: str, values: Column, provenance: Column | str, navigation: bool = False) -> Column:
+    """Values of one source as an array of (stage, place, type, value, provenance, navigation)."""
+    stage, provenance = (x if isinstance(x, Column) else F.lit(x) for x in (stage, provenance))
+    entry = lambda v, i: F.struct(stage.cast("int").alias("stage"), i.alias("place"), F.lit(kind).alias("type"), v.alias("value"), provenance.alias("provenance"), F.lit(navigation).alias("navigation"))
+    return F.transform(F.array_distinct(F.coalesce(values, F.array().cast("array<string>"))), entry)
 
 
-def _scans(texts: DataFrame, stage: int) -> DataFrame:
-    """All scans over `texts` (msg_id, text, provenance)."""
-    text = F.substring(F.col("text"), 1, TEXT)
-    parts = [("link", scan_urls(text)), ("ipv4", scan_ipv4(text)), ("ipv6?", scan_ipv6(text)), ("email", scan_emails(text)), ("email", scan_defanged_emails(text)), ("hash", scan_hashes(text))]
-    out = None
-    for k, (kind, values) in enumerate(parts):
-        own = _found(texts, stage * 10 + k, kind, values, F.col("provenance"))
-        out = own if out is None else out.unionByName(own)
-    return out
+def _scans(source: Column) -> Column:
+    """All scans of one text: source is (stage, text, provenance)."""
+    text = F.substring(source["text"], 1, TEXT)
+    kinds = [("link", scan_urls), ("ipv4", scan_ipv4), ("ipv6?", scan_ipv6), ("email", scan_emails), ("email", scan_defanged_emails), ("hash", scan_hashes)]
+    return F.concat(*[_entries(source["stage"] * 10 + k, kind, scan(text), source["provenance"]) for k, (kind, scan) in enumerate(kinds)])
 
 
 def collected(messages: DataFrame) -> DataFrame:
-    """msg_id, stage, place, type, value, provenance, navigation of everything found, before links are read."""
-    inspected = messages.select("msg_id", H.inspect_html(F.col("body.html_raw")).alias("html"))
-    out = None
+    """msg_id, stage, place, type, value, provenance, navigation of everything found, before links are read.
+
+    One pass: each message's finds are built as one array and exploded.
+    """
+    own = messages.withColumn("html", H.inspect_html(F.col("body.html_raw")))
     heads = [("From", "from"), ("Reply-To", "reply_to"), ("Return-Path", "return_path"), ("Sender", "sender")]
-    for k, (label, key) in enumerate(heads):
-        spec = F.lower(F.trim(F.col(f"addresses.{key}.addr_spec")))
-        own = _found(messages, k, "email", F.array(spec), f"header:{label}")
-        out = own if out is None else out.unionByName(own)
-    for k, (label, key) in enumerate((("To", "to"), ("Cc", "cc"))):
-        out = out.unionByName(_found(messages, 4 + k, "email", F.transform(f"addresses.{key}", lambda a: F.lower(F.trim(a["addr_spec"]))), f"header:{label}"))
-    out = out.unionByName(_found(messages, 6, "hash", F.transform("attachments", lambda a: a["sha256"]), "attachment:sha256"))
-    out = out.unionByName(_found(inspected, 7, "link", F.col("html.links"), "body:html").withColumn("navigation", F.lit(True)))
-    out = out.unionByName(_found(inspected, 8, "link", F.col("html.resources"), "body:html"))
-    texts = [
-        messages.select("msg_id", F.col("subject").alias("text"), F.lit("header:Subject").alias("provenance")),
-        messages.select("msg_id", F.col("body.text").alias("text"), F.lit("body:text").alias("provenance")),
-        inspected.select("msg_id", F.col("html.text").alias("text"), F.lit("body:html").alias("provenance")),
-        inspected.select("msg_id", F.col("html.hidden_text").alias("text"), F.lit("body:html-hidden").alias("provenance")),
-        messages.select("msg_id", F.explode("body.other_text").alias("p")).select("msg_id", F.col("p.text").alias("text"), F.concat(F.lit("body:"), F.col("p.content_type")).alias("provenance")),
-    ]
-    for k, frame in enumerate(texts):
-        out = out.unionByName(_scans(frame, 1 + k))
-    return out
+    parts = [_entries(k, "email", F.array(F.lower(F.trim(F.col(f"addresses.{key}.addr_spec")))), f"header:{label}") for k, (label, key) in enumerate(heads)]
+    parts += [_entries(4 + k, "email", F.transform(f"addresses.{key}", lambda a: F.lower(F.trim(a["addr_spec"]))), f"header:{label}") for k, (label, key) in enumerate((("To", "to"), ("Cc", "cc")))]
+    parts.append(_entries(6, "hash", F.transform("attachments", lambda a: a["sha256"]), "attachment:sha256"))
+    parts.append(_entries(7, "link", F.col("html.links"), "body:html", True))
+    parts.append(_entries(8, "link", F.col("html.resources"), "body:html"))
+    source = lambda stage, text, provenance: F.struct(F.lit(stage).alias("stage"), text.alias("text"), provenance.alias("provenance"))
+    texts = F.array(
+        source(1, F.col("subject"), F.lit("header:Subject")), source(2, F.col("body.text"), F.lit("body:text")), source(3, F.col("html.text"), F.lit("body:html")),
+        source(4, F.col("html.hidden_text"), F.lit("body:html-hidden")),
+    )
+    more = F.transform(F.coalesce("body.other_text", F.array()), lambda p: source(5, p["text"], F.concat(F.lit("body:"), p["content_type"])))
+    scanned = F.flatten(F.transform(F.filter(F.concat(texts, more), lambda t: t["text"].isNotNull()), _scans))
+    return own.select("msg_id", F.explode(F.concat(*parts, scanned)).alias("x")).select("msg_id", "x.*").where("value is not null and value <> ''")
+
+
+_PLAIN = "struct<sub:int,type:string,value:string,wrapped:string,wrapper:string,unresolved:boolean>"
+
+
+def _row(sub: int, kind: Column | str, value: Column, wrapped: Column | None = None, wrapper: Column | None = None, unresolved: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(sub), kind if isinstance(kind, Column) else F.lit(kind), value, none if wrapped is None else wrapped, none if wrapper is None else wrapper, F.lit(False) if unresolved is None else F.coalesce(unresolved, F.lit(False))).cast(_PLAIN)
 
 
 def with_hosts(found: DataFrame) -> DataFrame:
-    """Links unwrapped and classed; hosts of links and domains of addresses added after them."""
-    value = F.regexp_replace(F.trim(browser_reading(F.col("value"))), "^[<>\"']+|[<>\"']+$", "")
-    links = found.where("type = 'link'").withColumn("value", F.when(F.startswith(value, F.lit("//")), F.concat(F.lit("http:"), value)).otherwise(value))
-    scheme = F.lower(F.regexp_extract("value", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+    """Links unwrapped and classed; hosts of links and domains of addresses added after them. Each find gives its rows as one array."""
+    read = F.regexp_replace(F.trim(browser_reading(F.col("value"))), "^[<>\"']+|[<>\"']+$", "")
+    rows = found.withColumn("value", F.when(F.col("type") != "link", F.col("value")).when(F.startswith(read, F.lit("//")), F.concat(F.lit("http:"), read)).otherwise(read))
+    rows = rows.withColumn("scheme", F.when(F.col("type") == "link", F.lower(F.regexp_extract("value", r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))))
+    scheme = F.col("scheme")
     web = scheme.isin("http", "https", "ftp") | (F.col("navigation") & scheme.isin("javascript", "data", "vbscript")) | F.startswith("value", F.lit("\\\\"))
     other = (scheme != "") & ~scheme.isin("mailto", "cid", "tel", "sms", "about", "mid", "javascript", "data", "vbscript")
-    mailto = links.where(scheme == "mailto").withColumn("value", F.explode(scan_emails(F.regexp_replace("value", "%40", "@")))).withColumn("type", F.lit("email"))
-    links = links.where(web | other).withColumn("u", unwrap_url(F.col("value")))
-    urls = links.select("msg_id", "stage", "place", F.lit(0).alias("sub"), F.lit("url").alias("type"), F.col("u.value").alias("value"), "provenance", F.col("u.wrapped").alias("wrapped"), F.col("u.wrapper").alias("wrapper"), F.coalesce("u.unresolved", F.lit(False)).alias("unresolved"))
-    host = url_host(F.col("u.value"))
-    hosts = links.withColumn("host", F.regexp_replace(host, r"\.+$", "")).where("host is not null and host <> ''").withColumn("ip", is_ip_literal(F.col("host")))
-    plain = lambda f: f.select("msg_id", "stage", "place", "sub", "type", "value", "provenance", F.lit(None).cast("string").alias("wrapped"), F.lit(None).cast("string").alias("wrapper"), F.lit(False).alias("unresolved"))
+    rows = rows.withColumn("u", unwrap_url(F.when(web | other, F.col("value"))))
+    rows = rows.withColumn("host", F.nullif(F.regexp_replace(url_host(F.col("u.value")), r"\.+$", ""), F.lit("")))
+    rows = rows.withColumn("ip", is_ip_literal(F.when(F.col("type") == "ipv6?", F.col("value")).otherwise(F.col("host"))))
     kind = F.when(F.col("ip") & F.contains("host", F.lit(":")), "ipv6").when(F.col("ip"), "ipv4").otherwise("domain")
-    hosts = plain(hosts.withColumn("sub", F.lit(1)).withColumn("type", kind).withColumn("value", F.when(F.col("type") == "ipv4", F.coalesce(ipv4_of(F.col("host")), "host")).otherwise(F.col("host"))))
-    told = plain(links.where("u.target_domain is not null").withColumn("sub", F.lit(2)).withColumn("type", F.lit("domain")).withColumn("value", F.col("u.target_domain")))
-    rest = found.where("type <> 'link'").unionByName(mailto.select(*found.columns))
-    v6 = rest.where("type = 'ipv6?'").where(is_ip_literal(F.col("value"))).withColumn("type", F.lit("ipv6"))
-    rest = rest.where("type <> 'ipv6?'").unionByName(v6).withColumn("sub", F.lit(0))
-    domains = plain(rest.where("type = 'email'").withColumn("sub", F.lit(1)).withColumn("type", F.lit("domain")).withColumn("value", F.lower(domain_of_email(F.col("value")))).where("value is not null"))
-    return urls.unionByName(hosts).unionByName(told).unionByName(plain(rest)).unionByName(domains)
+    named = F.when(F.col("ip") & ~F.contains("host", F.lit(":")), F.coalesce(ipv4_of(F.col("host")), "host")).otherwise(F.col("host"))
+    is_link = F.col("u.value").isNotNull()
+    made = F.array(
+        F.when(is_link, _row(0, "url", F.col("u.value"), F.col("u.wrapped"), F.col("u.wrapper"), F.col("u.unresolved"))),
+        F.when(is_link & F.col("host").isNotNull(), _row(1, kind, named)),
+        F.when(F.col("u.target_domain").isNotNull(), _row(2, "domain", F.col("u.target_domain"))),
+        F.when(F.col("type").isin("email", "hash", "ipv4"), _row(0, F.col("type"), F.col("value"))),
+        F.when((F.col("type") == "ipv6?") & F.col("ip"), _row(0, "ipv6", F.col("value"))),
+        F.when(F.col("type") == "email", _row(1, "domain", F.lower(domain_of_email(F.col("value"))))),
+    )
+    letters = F.when(scheme == "mailto", scan_emails(F.regexp_replace("value", "%40", "@"))).otherwise(F.array().cast("array<string>"))
+    letters = F.flatten(F.transform(letters, lambda a: F.array(_row(0, "email", a), _row(1, "domain", F.lower(domain_of_email(a))))))
+    out = rows.select("msg_id", "stage", "place", "provenance", F.explode(F.concat(made, letters)).alias("x")).where("x.value is not null and x.value <> ''")
+    return out.select("msg_id", "stage", "place", "x.sub", "x.type", "x.value", "provenance", "x.wrapped", "x.wrapper", "x.unresolved")
 
 
 def once(found: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame]:

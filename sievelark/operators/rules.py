@@ -6,9 +6,11 @@ homograph is not also punycode) is an anti-join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -189,10 +191,6 @@ def anchor_mismatch(c: Corpus) -> DataFrame:
 
 def first_host(shared):
     """The first host name that a reader sees in a link's text: one with a public suffix, and no file name."""
-    import re
-
-    import pandas as pd
-
     token = re.compile(r"(?:https?://|www\.)?((?:[\w-]{1,63}\.)+[\w-]{2,63})", re.IGNORECASE)
     files = {"zip", "mov", "md", "py", "sh", "rs", "pm", "ps"}
 
@@ -250,7 +248,7 @@ def _flagged(rule: str, flag: str, said: str, without: str | None = None) -> Cal
 def urgency(c: Corpus) -> DataFrame:
     shown = F.regexp_replace(H.inspect_html(F.col("body.html_raw"))["text"], r"\s+", " ")
     text = F.lower(F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body.text", F.lit("")), shown))
-    own = c.messages.select("msg_id", words_found(c.settings.urgency_keywords, text).alias("found")).where(F.size("found") > 0)
+    own = c.messages.select("msg_id", text.alias("text")).select("msg_id", words_found(c.settings.urgency_keywords, F.col("text")).alias("found")).where(F.size("found") > 0)
     return _rows(own, "content.urgency_keywords", F.array(F.concat(F.lit("urgency / financial-pressure phrasing: "), F.array_join("found", ", "))))
 
 

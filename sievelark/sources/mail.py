@@ -306,6 +306,7 @@ def parse(data: bytes, filename: str) -> dict:
 def parsed(raw: DataFrame) -> DataFrame:
     """Parsed messages of `raw` (path, content). Attachments come with the facts that expressions make of their bytes, without the bytes."""
     from ..functions import attachments as A
+    from ..functions.suffixes import let
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,7 +318,9 @@ def parsed(raw: DataFrame) -> DataFrame:
     rows = raw.select("path", "content").mapInArrow(run, from_arrow_schema(ARROW))
 
     def facts(x):
-        kind = A.detected_type(x["content"])
+        return let(A.detected_type(x["content"]), lambda kind: described(x, kind))
+
+    def described(x, kind):
         return F.struct(
             x["filename"].alias("filename"), x["declared_type"].alias("declared_type"), kind.alias("detected_type"), F.octet_length(x["content"]).cast("bigint").alias("size"),
             F.md5(x["content"]).alias("md5"), F.sha1(x["content"]).alias("sha1"), F.sha2(x["content"], 256).alias("sha256"), A.flags(x["filename"], x["declared_type"], kind, x["encrypted"]).alias("flags"),
