@@ -278,26 +278,29 @@ def unw_06_barracuda(spark, d):
 
 # --- joins and sets ---------------------------------------------------------
 
-_MAILBOX = F.element_at(F.array(*[F.lit(x) for x in ["gmail.com", "corp.example", "bit.ly", "yahoo.com", "x.org"]]), (F.col("user_id") % 5 + 1).cast("int"))
+def _mailbox():
+    return F.element_at(F.array(*[F.lit(x) for x in ["gmail.com", "corp.example", "bit.ly", "yahoo.com", "x.org"]]), (F.col("user_id") % 5 + 1).cast("int"))
+
+
 _MAILBOX_SQL = "['gmail.com', 'corp.example', 'bit.ly', 'yahoo.com', 'x.org'][(user_id % 5 + 1)::INT]"
 
 
 @query(f"SELECT event_id, {_MAILBOX_SQL} AS domain FROM events WHERE {_MAILBOX_SQL} IN (SELECT * FROM (VALUES {_values(FREEMAIL)}))")
 def joi_06_freemail_semi(spark, d):
     words = F.broadcast(Settings().words_frame(spark).where("kind = 'freemail'").select(F.col("value").alias("domain")))
-    return _t(spark, d, "events").select("event_id", _MAILBOX.alias("domain")).join(words, "domain", "left_semi").select("event_id", "domain")
+    return _t(spark, d, "events").select("event_id", _mailbox().alias("domain")).join(words, "domain", "left_semi").select("event_id", "domain")
 
 
 @query(f"SELECT event_id, {_MAILBOX_SQL} AS domain FROM events WHERE {_MAILBOX_SQL} IN (SELECT * FROM (VALUES {_values(SHORTENERS)}))")
 def joi_07_shortener_semi(spark, d):
     words = F.broadcast(Settings().words_frame(spark).where("kind = 'shortener'").select(F.col("value").alias("domain")))
-    return _t(spark, d, "events").select("event_id", _MAILBOX.alias("domain")).join(words, "domain", "left_semi").select("event_id", "domain")
+    return _t(spark, d, "events").select("event_id", _mailbox().alias("domain")).join(words, "domain", "left_semi").select("event_id", "domain")
 
 
 @query(f"SELECT event_id, {_MAILBOX_SQL} AS domain FROM events WHERE {_MAILBOX_SQL} NOT IN (SELECT * FROM (VALUES {_values(FREEMAIL + SHORTENERS)}))")
 def joi_08_known_anti(spark, d):
     words = F.broadcast(Settings().words_frame(spark).where("kind in ('freemail', 'shortener')").select(F.col("value").alias("domain")))
-    return _t(spark, d, "events").select("event_id", _MAILBOX.alias("domain")).join(words, "domain", "left_anti").select("event_id", "domain")
+    return _t(spark, d, "events").select("event_id", _mailbox().alias("domain")).join(words, "domain", "left_anti").select("event_id", "domain")
 
 
 @query("SELECT c_custkey, b.brand FROM (SELECT c_custkey, ['PayPal Service', 'Apple', 'Pineapple Ltd', 'The Chase Team', 'nobody'][(c_custkey % 5 + 1)::INT] AS name FROM customer) JOIN (VALUES " + ", ".join(f"('{b}')" for b in Settings().brands) + ") b(brand) ON regexp_matches(lower(name), '\\b' || b.brand || '\\b')")
