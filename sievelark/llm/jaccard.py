@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, release
 from .linking import link
 from .words import Words, mix, sorted_sets, text_slices
 
@@ -275,6 +275,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, alike: Alike) -> DataFrame:
 def groups(documents: DataFrame, alike: Alike = Alike()) -> DataFrame:
     """doc_id, n_shingles, component_id of every row with a doc_id."""
     docs = cut(token_rows(documents, alike))
+    release(documents.sparkSession)
     sets = docs.where("n > 0").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("holder"))
     sets = cut(sets)
     full = docs.where("tokens is not null").select(F.col("doc_id").alias("holder"), "print1", "print2", "n", "unshared", "central", "tokens")
