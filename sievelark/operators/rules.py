@@ -18,7 +18,7 @@ from ..functions import html as H
 from ..functions import names as N
 from ..functions.defang import defang_domain, defang_email
 from ..functions.hosts import is_ip_literal, url_host, url_path_query
-from ..functions.suffixes import host_suffixes, registrable, registrable_domain, registrable_label, rules as suffix_rules, split_host
+from ..functions.suffixes import host_suffixes, registrable_domain, registrable_label, rules as suffix_rules, split_host
 from ..settings import Settings
 
 #: Imitated labels have at least so many letters.
