@@ -3,7 +3,7 @@
 Dong, Moses and Li, "Efficient k-nearest neighbor graph construction for generic similarity measures",
 WWW 2011. Each vector keeps its `k` best neighbours so far. A round joins, at every vector, its neighbours and
 some of the vectors it is a neighbour of (the local join): any two of them are candidates for each
-other, being neighbours of neighbours. Vectors travel as 16-bit floats, about forty to a local join; each member gets the best
+other, being neighbours of neighbours. Vectors travel as 16-bit floats, some seventy to a local join; each member gets the best
 few candidates back, and one grouping merges them. The first neighbours come from blocks of `block` vectors with like
 signs of random projections: a code with too many vectors is split over further blocks at random, so no block is larger.
 
@@ -29,27 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut, partitions
+from .lineage import cut
 from .topk import finite
 
 
 @dataclass(frozen=True)
 class Settings:
     #: Neighbours of a vector in the graph.
-    k: int = 30
+    k: int = 40
     #: Reverse neighbours that a local join takes.
-    reverse: int = 20
+    reverse: int = 30
     #: Candidates that a member of a local join gets back.
-    offers: int = 10
+    offers: int = 15
     #: Local-join rounds.
-    rounds: int = 4
+    rounds: int = 6
     #: Random projections that vectors are first blocked by, and vectors in a block.
     tables: int = 3
     block: int = 512
     #: Search: candidates kept, expanded in a step, steps.
-    beam: int = 80
-    width: int = 30
-    steps: int = 2
+    beam: int = 200
+    width: int = 40
+    steps: int = 5
 
 
 def _rows(column) -> np.ndarray:

@@ -91,7 +91,7 @@ def cells_of(documents: DataFrame) -> DataFrame:
 
 
 def probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
-    """p_source, p_lang, p_topic, p: the probability to keep a document of each cell.
+    """_mix_source, _mix_lang, _mix_topic, _mix_p: the probability to keep a document of each cell.
 
     keep: raked tokens to keep, as a share of all; then a cell that would need more than it has is kept whole, and the mix falls short there. Without
     it, as many as the scarcest cell allows.
@@ -101,7 +101,7 @@ def probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None = None,
     most = raked.agg(F.max(F.col("raked") / F.col("t")).alias("most"))
     factor = F.lit(float(keep)) if keep is not None else 1 / F.col("most")
     p = F.least(F.lit(1.0), F.round(F.col("raked") / F.col("t") * factor, 9))
-    return raked.crossJoin(most).select(*[F.col(d).alias(f"p_{d}") for d in DIMENSIONS], p.alias("p"))  # a one-row side
+    return raked.crossJoin(most).select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], p.alias("_mix_p"))  # a one-row side
 
 
 def chance(documents: DataFrame) -> Column:
@@ -116,9 +116,9 @@ def chosen(documents: DataFrame, **settings) -> DataFrame:
     if p.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         p = F.broadcast(p)
     rows = described(documents)
-    joined = rows.join(p, (F.col("_source") == F.col("p_source")) & (F.col("_lang") == F.col("p_lang")) & (F.col("_topic") == F.col("p_topic")), "left")
+    joined = rows.join(p, (F.col("_source") == F.col("_mix_source")) & (F.col("_lang") == F.col("_mix_lang")) & (F.col("_topic") == F.col("_mix_topic")), "left")
     # cells without tokens have no weight to rake; their documents stay
-    chances = F.coalesce("p", F.when(F.col("_tokens") == 0, 1.0).otherwise(0.0))
+    chances = F.coalesce("_mix_p", F.when(F.col("_tokens") == 0, 1.0).otherwise(0.0))
     return joined.withColumn("_p", chances).withColumn("_kept", chance(documents) < F.col("_p"))
 
 

@@ -19,7 +19,6 @@ vec_ids take no part; an empty table gives no rows. Columns other than vec_id an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
