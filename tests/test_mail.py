@@ -150,3 +150,26 @@ def test_settings(tmp_path):
     for raw in ({"weigths": {}}, {"weights": {"auth.spf_fial": 1}}, {"weights": {"auth.spf_fail": 101}}, {"bands": [{"max": 50, "verdict": "x"}]}):
         with pytest.raises(ST.SettingsError):
             ST.validated(raw)
+
+
+def test_reports(corpus):
+    import json
+
+    from sievelark.operators import report as RP
+
+    c, anomalies = corpus
+    fired = R.fired(c, ["auth.spf_fail", "url.shortener", "attach.executable", "content.urgency_keywords"]).cache()
+    scores = SC.scores(c.messages, fired, anomalies, c.settings)
+    built = RP.build(c.messages, c.indicators, fired, scores, c.settings).cache()
+    ids = {m.msg_id: m.filename for m in c.messages.select("msg_id", "filename").collect()}
+    reports = {ids[r.msg_id]: json.loads(r.json) for r in RP.to_json(built).collect()}
+    bad = reports["bad.eml"]
+    assert [r["id"] for r in bad["reasons"]] == ["attach.executable", "auth.spf_fail", "url.shortener", "content.urgency_keywords"] and bad["summary"]["score"] == 47
+    assert bad["identity"]["from"]["address"] == "pay[at]paypa1[.]com" and bad["attachments"][0]["size"] == "18 B"
+    assert set(reports) == {"good.eml", "bad.eml", "empty.eml", "noise.eml"}
+    pages = {ids[r.msg_id]: r.html for r in RP.to_html(built).collect()}
+    for text in [*pages.values(), *(json.dumps({k: v for k, v in r.items()}) for r in reports.values())]:
+        assert "http://" not in text and "https://" not in text and "<a " not in text and "<script" not in text
+    assert RP.terminal(bad, 2, 1).count("\n") <= 2 + len(RP.ORDER)
+    own = {(ids[r.msg_id], r.bucket): r for r in RP.buckets(c.indicators, 1).collect()}
+    assert len(own["bad.eml", "urls"].shown) == 1 and own["bad.eml", "urls"].n >= 2
