@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sievelark.llm import components as C
 from sievelark.llm import jaccard, licenses, lines, substring
@@ -155,6 +156,21 @@ def test_line_groups_by_brute_force(spark):
     assert got == expected
 
 
+def test_edit_distance_of_words(spark):
+    r = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        own = [r.choice(["a", "bb", "cab", "d"]) for _ in range(r.randrange(1, 8))]
+        other = list(own)
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(other) + 1)
+            other[k : k + r.randrange(2)] = [r.choice(["a", "bb", "x"])] * r.randrange(2)
+        pairs.append((" ".join(own), " ".join(other) or "a"))
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for row in rows.select("a", "b", lines.edit_distance(F.split("a", " "), F.split("b", " ")).alias("x"), F.levenshtein("a", "b").alias("y")).collect():
+        assert row.x == row.y, row
+
+
 def test_passages(spark, documents):
     found = substring.passages(documents).collect()
     pairs = {(r.doc_id, r.source_doc_id): r for r in found}
