@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 BANDS = 16
 WORDS = 5
 #: Shingles of templates in one scan.
@@ -87,6 +89,7 @@ def _scan(documents: DataFrame, known: list, containment: float) -> DataFrame:
     values = F.array(*[F.lit(x) for x in every]).cast("array<bigint>")
     rows = shingled(documents.select("doc_id", "text"), "doc_id").where(F.arrays_overlap("s", values))
     at = _held(rows, "hits", F.filter(F.transform("s", lambda x, i: F.when(F.array_contains(values, x), i)), lambda i: i.isNotNull()), "doc_id", "s")
+    at = cut(at)  # the documents with any template's shingle: few, and read once for each class of windows
     template = spark.createDataFrame([(r.license, list(r.s), len(r.s), max(0, len(r.s).bit_length() - 1)) for r in known], "license string, t array<bigint>, n int, c int")
     bands = template.select("license", "c", "t", "n", F.posexplode(minima(F.col("t"))).alias("band", "low"))
     windows = None
