@@ -5,7 +5,7 @@ a row per task and length. Suffix sums over the histogram then give, for any lim
 and tokens at or over L, the tokens left when texts are cut at L, and the share of documents that fit.
 
 The histogram has as many rows as there are different lengths, not documents. Suffix sums run in two steps (within blocks
-of 1024 lengths, then over blocks), so no task holds more than a block or the list of blocks.
+of 64 lengths, then over blocks), so no task holds more than a block or the list of blocks.
 
 Defined cases: a null or empty text has length 0 (with `end_id`, 1); doc_id is not read, so null and repeated ids
 count like any row; an empty table gives no rows. Columns other than `text` are not read.
@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, vocabulary
+from .lineage import cut
 
-_BLOCK = 1024
+_BLOCK = 64
 
 
 def histogram(documents: DataFrame, tokenizer: str | None = None, with_end: bool = False) -> DataFrame:
@@ -77,4 +78,4 @@ def at_limit(sums: DataFrame, limit: int) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histogram over all documents with its suffix sums: one row per encoded length."""
-    return suffix_sums(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return suffix_sums(cut(histogram(spark.read.parquet(f"{sf_dir}/documents.parquet"))))  # as many rows as lengths; read twice
