@@ -3,8 +3,12 @@
 Rows that share a token are candidates; `verify` says which pairs are links. What is asked for is the
 connected components of all links, so a pair within one component need not be looked at. Rounds: first,
 each token's most central row is paired with the token's other rows; components of the links found are formed; the next
-rounds pair only rows of different components, again as stars, and the last one all such pairs. A group of n near
+rounds pair only rows of different components, again as stars but of the rows that were no centre before, and the last one makes all
+such pairs, whatever the stars found. It is left out only where no token has rows of several components. A group of n near
 copies thus costs about n pairs, while no link between two components is left unverified.
+
+In the last round a token of many rows is dealt out: its rows form parts of about `cell` rows, and each two parts meet under a key
+of their own, so no task has all pairs of a token.
 """
 
 from __future__ import annotations
@@ -15,52 +19,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .lineage import cut
+from .lineage import cut, release
 
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def _pairs(first: DataFrame, second: DataFrame, fits: Fits) -> DataFrame:
-    second = second.select("token", *[F.col(c).alias(f"other_{c}") for c in second.columns if c != "token"])
-    joined = first.join(second, "token").where(fits(F.col, lambda c: F.col(f"other_{c}")))
+def _met(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("id", "other_id").alias("u"), F.greatest("id", "other_id").alias("v")).distinct()
 
 
+def _other(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(c).alias(f"other_{c}") for c in rows.columns if c not in keys])
+
+
+def _star_pairs(rows: DataFrame, centres: DataFrame, fits: Fits) -> DataFrame:
+    return _met(rows.join(_other(centres, "token"), "token").where(fits(F.col, lambda c: F.col(f"other_{c}"))))
+
+
+def _all_pairs(rows: DataFrame, mixed: DataFrame, fits: Fits, cell: int) -> DataFrame:
+    """Pairs of rows that share a token of `mixed` (token, rows); parts i <= j of a token meet under (token, i, j)."""
+    parts = rows.join(mixed.select("token", F.ceil(F.col("rows") / cell).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("id", "token"), F.col("parts")).cast("int"))
+    first = parts.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence("part", F.col("parts") - 1))).drop("part", "parts")
+    second = parts.withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("part")))).drop("part", "parts")
+    joined = first.join(_other(second, "token", "i", "j"), ["token", "i", "j"])
+    # two rows of one part meet in both orders
+    return _met(joined.where((F.col("i") < F.col("j")) | (F.col("comp") < F.col("other_comp"))).where(fits(F.col, lambda c: F.col(f"other_{c}"))))
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
-    """One row per token whose rows lie in several components, with its most central row."""
+    """token, rows and p, the most central row, of each token whose rows lie in several components."""
     cols = [c for c in rows.columns if c not in ("token", "central", "id")]
-    best = rows.groupBy("token").agg(F.max(F.struct("central", "id", *cols)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return best.where("lo <> hi").select("token", "p.*")
+    best = rows.groupBy("token").agg(F.max(F.struct("central", "id", *cols)).alias("p"), F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return best.where("lo <> hi").select("token", "rows", "p")
 
 
-def link(rows: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, stars: int = 2) -> DataFrame:
+def link(rows: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, stars: int = 2, cell: int = 2048) -> DataFrame:
     """node, component of every row with a link.
 
     rows: token, id, central and whatever columns `fits` compares. given: links u, v known before.
-    verify: of distinct pairs u < v to those that are links.
+    verify: of distinct pairs u < v to those that are links. cell: rows of a token that meet in one place in the last round.
     """
+    apart: Fits = lambda a, b: (a("comp") != b("comp")) & fits(a, b)
+    own = [c for c in rows.columns if c != "token"]
+    nothing = rows.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     label, tried, links = None, None, given
     for k in range(stars + 1):
         if links is not None:
-            label = components(links)
-            now = cut(rows.join(label.select(F.col("node").alias("id"), F.col("component")), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+            label, links = components(links), None
+        release(rows.sparkSession)
+        if label is not None:
+            now = rows.join(label.select(F.col("node").alias("id"), F.col("component")), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         else:
             now = rows.withColumn("comp", F.col("id"))
-        mixed = _mixed(now)
-        apart: Fits = (lambda a, b: (a("comp") != b("comp")) & fits(a, b)) if k < stars else (lambda a, b: (a("comp") < b("comp")) & fits(a, b))
+        mixed = cut(_mixed(now))
+        if mixed.isEmpty():
+            break
         if k < stars:
-            pairs = _pairs(now, mixed, apart)
+            pairs = _star_pairs(now, mixed.select("token", "p.*"), apart)
         else:
-            left = now.join(mixed.select("token"), "token")
-            pairs = _pairs(left, left, apart)
+            pairs = _all_pairs(now, mixed, apart, cell)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        if k < stars:
+            # a centre has met all rows of its token, and a token of one component has no pairs to make: neither is needed again
+            left = mixed.where("rows > 2").select("token", F.xxhash64(*[f"p.{c}" for c in own]).alias("centre"))
+            rows = cut(now.join(left, "token").where(F.xxhash64(*own) != F.col("centre")).select("token", *own))
         if pairs.isEmpty():
-            break
+            continue  # nothing new from these stars; the last round still makes all pairs
         found = cut(verify(pairs))
         links = found if label is None else label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
-    else:
+    if links is not None:
         label = components(links)
-    if label is None:
-        return rows.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-    return label
+    return nothing if label is None else label
