@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sievelark.llm import linking
+from sievelark.llm import linking, lines
 
 
 @pytest.mark.parametrize(("settings", "hubs"), [({}, 1), ({}, 4), ({"cell": 2}, 4)])
@@ -20,3 +20,16 @@ def test_links_of_rows_that_are_no_centre(spark, settings, hubs):
     found = linking.link(frame, lambda a, b: F.lit(True), verify, **settings)
     assert {(r.node, r.component) for r in found.collect()} == {(1, 1), (2, 1)}
     assert len(seen) == len(set(seen))
+
+
+def test_lines_of_exactly_the_similarity(spark):
+    sizes = [n for n in range(1, 400)]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n int")
+    assert [(r.n, r.most) for r in rows.select("n", lines.most_edits(F.col("n"), 0.8).alias("most")).orderBy("n").collect()] == [(n, (100 - 80) * n // 100) for n in sizes]
+
+
+def test_line_pair_of_exactly_the_similarity(spark):
+    # 50 letters, 10 of them changed at the end of each line: no gate of bits
+    one, two = "ab " * 13 + "cdefghijklm", "ab " * 13 + "cnopqrstuvw"
+    rows = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    assert len(one) == 50 and {r.doc_id: r.kept for r in lines.occurrences(rows, bits=64).collect()} == {1: True, 2: False}
