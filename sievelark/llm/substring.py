@@ -210,25 +210,86 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(own[n] for n in ("doc", "a", "b", "other", "oa", "ob")), pa.array(cut_, pa.binary())], ["doc", "a", "b", "other", "oa", "ob", "shingles"])
 
 
-def matches(one: np.ndarray, two: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, float]]:
-    """(begin, end, begin in two, end in two, similarity) of like stretches of two shingle sequences."""
+def segments(one: np.ndarray, two: np.ndarray, at_once: int = 1 << 22) -> np.ndarray:
+    """Rows (begin, begin in two, length) of all longest stretches that are equal place by place, sorted; every occurrence of a shingle counts.
+
+    Pairs of equal places are made for `at_once` of them at a time; only where a stretch begins or ends is kept.
+    """
     order = np.argsort(two, kind="stable")
-    at = np.searchsorted(two[order], one)
-    hit = np.flatnonzero((at < len(two)) & (two[order[np.minimum(at, len(two) - 1)]] == one)) if len(two) else np.zeros(0, np.int64)
-    if not len(hit):
+    own = two[order]
+    low, high = np.searchsorted(own, one, "left"), np.searchsorted(own, one, "right")
+    total = np.concatenate([[0], np.cumsum(high - low)])
+    begins, ends, k = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)], 0
+    while k < len(one):
+        stop = max(k + 1, int(np.searchsorted(total, total[k] + at_once, "right")) - 1)
+        count = high[k:stop] - low[k:stop]
+        i = np.repeat(np.arange(k, stop), count)
+        j = order[np.arange(len(i)) - np.repeat(total[k:stop] - total[k], count) + np.repeat(low[k:stop], count)]
+        head = (i == 0) | (j == 0) | (one[i - 1] != two[j - 1])
+        tail = (i == len(one) - 1) | (j == len(two) - 1) | (one[np.minimum(i + 1, len(one) - 1)] != two[np.minimum(j + 1, len(two) - 1)])
+        begins.append(np.stack([i[head], j[head]]))
+        ends.append(np.stack([i[tail], j[tail]]))
+        k = stop
+    (i, j), (x, y) = np.concatenate(begins, axis=1), np.concatenate(ends, axis=1)
+    # on a diagonal, beginnings and ends alternate
+    first, last = np.lexsort((i, i - j)), np.lexsort((x, x - y))
+    i, j, size = i[first], j[first], x[last] - i[first] + 1
+    by = np.lexsort((j, i))
+    return np.stack([i[by], j[by], size[by]], axis=1)
+
+
+def chains(parts: np.ndarray, gap: int) -> list[list[int]]:
+    """Numbers of segments that follow each other with gaps and shifts of up to `gap`, those that cover most first; each segment in one chain."""
+    begin, size, shift = parts[:, 0].tolist(), parts[:, 2].tolist(), (parts[:, 0] - parts[:, 1]).tolist()
+    cover, before, last = list(size), [-1] * len(begin), {}
+    for s in range(len(begin)):
+        end = begin[s] + size[s] - 1
+        for d in range(shift[s] - gap, shift[s] + gap + 1):
+            p = last.get(d)
+            if p is None:
+                continue
+            till = begin[p] + size[p] - 1
+            if begin[p] < begin[s] and till < end and begin[s] - till <= gap and cover[p] + end - max(till, begin[s] - 1) > cover[s]:
+                cover[s], before[s] = cover[p] + end - max(till, begin[s] - 1), p
+        last[shift[s]] = s
+    used, out = [False] * len(begin), []
+    for s in sorted(range(len(begin)), key=lambda s: (-cover[s], s)):
+        own = []
+        while s >= 0 and not used[s]:
+            used[s] = True
+            own.append(s)
+            s = before[s]
+        if own:
+            out.append(own[::-1])
+    return out
+
+
+def matches(one: np.ndarray, two: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, float]]:
+    """(begin, end, begin in two, end in two, similarity) of like stretches of two shingle sequences.
+
+    Stretches are chains of equal segments along an alignment, whatever else repeats a shingle. Where a chain as a whole isn't alike enough, its
+    segments count alone. A stretch within one found before, in the first sequence, is not told again.
+    """
+    if not len(one) or not len(two):
         return []
-    place = order[at[hit]]
-    breaks = np.flatnonzero((np.diff(hit) > settings.gap) | (np.abs(np.diff(hit) - np.diff(place)) > settings.gap)) + 1
-    out = []
-    for mine, there in zip(np.split(hit, breaks), np.split(place, breaks), strict=True):
-        a, b, x, y = int(mine[0]), int(mine[-1]), int(there.min()), int(there.max())
-        if b - a + 1 < settings.tokens:
-            continue
+    parts = segments(one, two)
+    out: list[tuple[int, int, int, int, float]] = []
+
+    def add(own: np.ndarray) -> bool:
+        a, b, x, y = int(own[:, 0].min()), int((own[:, 0] + own[:, 2]).max()) - 1, int(own[:, 1].min()), int((own[:, 1] + own[:, 2]).max()) - 1
+        if b - a + 1 < settings.tokens or any(c <= a and b <= d for c, d, *_ in out):
+            return True
         p, q = np.unique(one[a : b + 1]), np.unique(two[x : y + 1])
         shared = len(np.intersect1d(p, q, assume_unique=True))
         similarity = shared / (len(p) + len(q) - shared)
         if similarity >= settings.similarity:
             out.append((a, b, x, y, similarity))
+        return similarity >= settings.similarity
+
+    for chain in chains(parts, settings.gap):
+        if not add(parts[chain]):
+            for k in chain:
+                add(parts[k : k + 1])
     return out
 
 

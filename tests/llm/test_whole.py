@@ -1,9 +1,13 @@
 """Cases that a cut would lose: links past the stars, passages with inner repeats, bounds met exactly, short lines."""
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import settings as examples
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sievelark.llm import linking, lines
+from sievelark.llm import linking, lines, substring
 
 
 @pytest.mark.parametrize(("settings", "hubs"), [({}, 1), ({}, 4), ({"cell": 2}, 4)])
@@ -33,3 +37,44 @@ def test_line_pair_of_exactly_the_similarity(spark):
     one, two = "ab " * 13 + "cdefghijklm", "ab " * 13 + "cnopqrstuvw"
     rows = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
     assert len(one) == 50 and {r.doc_id: r.kept for r in lines.occurrences(rows, bits=64).collect()} == {1: True, 2: False}
+
+
+def shingles(words):
+    return np.array([hash(tuple(words[k : k + 5])) & (2**64 - 1) for k in range(len(words) - 4)], np.uint64)
+
+
+def inner_repeat(n, *places):
+    words = [f"w{k}" for k in range(n)]
+    for p in places:
+        words[p : p + 5] = "the same five words here".split()
+    return words
+
+
+@pytest.mark.parametrize("passage", [inner_repeat(60, 10, 40), inner_repeat(90, 20, 60), [f"w{k}" for k in range(30)] * 10])
+def test_exact_passages_with_inner_repeats(passage):
+    one = [f"a{k}" for k in range(20)] + passage + [f"b{k}" for k in range(20)]
+    two = [f"c{k}" for k in range(7)] + passage + [f"d{k}" for k in range(30)]
+    n = len(passage) - 4
+    assert substring.matches(shingles(one), shingles(two), substring.Settings())[0] == (20, 19 + n, 7, 6 + n, 1.0)
+
+
+def test_passages_with_inner_repeats(spark):
+    passage = inner_repeat(60, 10, 40)
+    rows = [(k, " ".join([f"{k}a{i}" for i in range(40)] + passage + [f"{k}b{i}" for i in range(40)])) for k in range(2)]
+    found = substring.passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, r.first_word, r.n_words, r.source_doc_id, r.source_first_word) for r in found] == [(1, 40, 60, 0, 40)]
+
+
+@given(st.lists(st.integers(0, 3), max_size=25), st.lists(st.integers(0, 3), max_size=25), st.integers(1, 40))
+@examples(max_examples=200, deadline=None)
+def test_segments_by_brute_force(one, two, at_once):
+    want = set()
+    for i in range(len(one)):
+        for j in range(len(two)):
+            if one[i] == two[j] and (not i or not j or one[i - 1] != two[j - 1]):
+                n = 1
+                while i + n < len(one) and j + n < len(two) and one[i + n] == two[j + n]:
+                    n += 1
+                want.add((i, j, n))
+    got = substring.segments(np.array(one, np.uint64), np.array(two, np.uint64), at_once)
+    assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
