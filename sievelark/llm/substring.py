@@ -264,6 +264,18 @@ def chains(parts: np.ndarray, gap: int) -> list[list[int]]:
     return out
 
 
+def _long_enough(parts: np.ndarray, settings: Settings) -> np.ndarray:
+    """Those segments that a chain of `tokens` places may have: chains stay among diagonals that follow each other within `gap`."""
+    shift = parts[:, 0] - parts[:, 1]
+    order = np.argsort(shift, kind="stable")
+    group = np.zeros(len(parts), np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(np.diff(shift[order]) > settings.gap)]) if len(parts) else group
+    low, high = np.full(len(parts), np.iinfo(np.int64).max), np.zeros(len(parts), np.int64)
+    np.minimum.at(low, group, parts[:, 0])
+    np.maximum.at(high, group, parts[:, 0] + parts[:, 2])
+    return parts[(high - low)[group] >= settings.tokens]
+
+
 def matches(one: np.ndarray, two: np.ndarray, settings: Settings) -> list[tuple[int, int, int, int, float]]:
     """(begin, end, begin in two, end in two, similarity) of like stretches of two shingle sequences.
 
@@ -272,11 +284,16 @@ def matches(one: np.ndarray, two: np.ndarray, settings: Settings) -> list[tuple[
     """
     if not len(one) or not len(two):
         return []
-    parts = segments(one, two)
+    parts = _long_enough(segments(one, two), settings)
     out: list[tuple[int, int, int, int, float]] = []
-
-    def add(own: np.ndarray) -> bool:
-        a, b, x, y = int(own[:, 0].min()), int((own[:, 0] + own[:, 2]).max()) - 1, int(own[:, 1].min()), int((own[:, 1] + own[:, 2]).max()) - 1
+    whole = np.flatnonzero(parts[:, 2] == len(one))
+    if len(whole):
+        parts = parts[whole[:1]]  # all else lies within it
+    begin, other, size = parts.T.tolist()
+
+    def add(own: list[int]) -> bool:
+        a, b = min(begin[k] for k in own), max(begin[k] + size[k] for k in own) - 1
+        x, y = min(other[k] for k in own), max(other[k] + size[k] for k in own) - 1
         if b - a + 1 < settings.tokens or any(c <= a and b <= d for c, d, *_ in out):
             return True
         p, q = np.unique(one[a : b + 1]), np.unique(two[x : y + 1])
@@ -287,9 +304,9 @@ def matches(one: np.ndarray, two: np.ndarray, settings: Settings) -> list[tuple[
         return similarity >= settings.similarity
 
     for chain in chains(parts, settings.gap):
-        if not add(parts[chain]):
+        if not add(chain):
             for k in chain:
-                add(parts[k : k + 1])
+                add([k])
     return out
 
 
