@@ -78,3 +78,12 @@ def test_segments_by_brute_force(one, two, at_once):
                 want.add((i, j, n))
     got = substring.segments(np.array(one, np.uint64), np.array(two, np.uint64), at_once)
     assert len(got) == len(want) and set(map(tuple, got.tolist())) == want
+
+
+def test_exact_repeats_of_short_lines(spark):
+    import corpus_pipeline
+
+    texts = [(1, "Les.\n12 34\n----\n\n \t\n吾輩は猫である。"), (2, "one two three\nles\n 12 34\n12 35\n----\n\n \t\n吾輩は猫である。")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, rows, "").collect()} == {1: texts[0][1], 2: "one two three\n12 35\n\n \t"}
+    assert {(r.doc_id, r.place) for r in lines.occurrences(rows).where("not kept").collect()} == {(2, 1), (2, 2), (2, 4), (2, 7)}
