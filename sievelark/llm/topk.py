@@ -6,7 +6,8 @@ a depth shows every product that is at least the list's value there. A row's low
 and, for lists where it wasn't, the list's last value; its upper bound adds the value at the depth reached. A row whose
 upper bound is under the k-th lower bound is an outsider and is dropped; reading goes deeper until few rows are left, whose scores
 are then resolved. Ties stay in, so results are exact. Lists cover 1,024 rows at a time, and resolved scores bound the next ones: in 64
-dimensions, bounds without them stay loose until lists are nearly read.
+dimensions, bounds without them stay loose until lists are nearly read. All products of a list's rows are made before it is read, at two depths only, so
+this is the method's pruning without its saving of products.
 
 Rows and queries meet in blocks: a block of rows (about `rows_per_block`, by hash of the id) sorts its lists once and serves a block of
 queries; best rows of each block are merged per query. Blocks have a bounded size, so neither many queries nor many rows meet in one
