@@ -13,7 +13,7 @@ subsequences. Those spanning fewer than `words - 4` tokens hold no passage of `w
 3. Windows of a pair of documents are gathered; intervals of like alignment are joined, and where at least
    `enough` hash functions cover a stretch of `words` words, it is a candidate.
 4. Candidates are verified on the shingles themselves: matching stretches (gaps of up to `gap` tokens) of `words` words or more whose
-   shingle sets have a Jaccard similarity of `similarity` or more. An exact repeat meets under every hash function, so it is always found.
+   shingle sets have a Jaccard similarity of `similarity` or more. An exact repeat has equal windows under every hash function; it is found where step 2 pairs them.
 
 Defined cases: null and empty texts and those of under `words` words have no passages; null doc_ids take no part; rows sharing a doc_id are one document (no passage repeats within it); repeats within one document
 are not looked for; an empty table gives no rows. Columns other than doc_id and text are not read.
