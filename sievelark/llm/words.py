@@ -127,6 +127,18 @@ class Words:
         return mix(total), bounds
 
 
+class Digests:
+    """Digests of any runs of a sequence of 64-bit integers, from prefix sums; equal runs have equal ones wherever they are."""
+
+    def __init__(self, values: np.ndarray):
+        self._sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * _power("up", _BASE, len(values)), out=self._sums[1:])
+        self._down = _power("down", _INVERSE, len(values) + 1)
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[begin]) * self._down[begin] + (end - begin).astype(np.uint64))
+
+
 def sorted_sets(hashes: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """Each text's distinct hashes in ascending order."""
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
