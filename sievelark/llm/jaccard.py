@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .lineage import cut, release
-from .linking import link
+from .linking import band, link
 from .words import Words, mix, sorted_sets, text_slices
 
 #: Pairs that a task gathers before it sends them.
@@ -278,11 +278,15 @@ def groups(documents: DataFrame, alike: Alike = Alike()) -> DataFrame:
     release(documents.sparkSession)
     sets = docs.where("n > 0").groupBy("print1", "print2", "n").agg(F.min("doc_id").alias("id"), F.min(F.when(F.col("tokens").isNotNull(), F.col("doc_id"))).alias("holder"))
     sets = cut(sets)
+    small = cut(docs.select("doc_id", "n", "print1", "print2"))
     full = docs.where("tokens is not null").select(F.col("doc_id").alias("holder"), "print1", "print2", "n", "unshared", "central", "tokens")
     nodes = cut(full.join(sets.where("holder is not null"), ["holder", "print1", "print2", "n"]).dropDuplicates(["id", "print1", "print2"]).select("id", "n", "unshared", "central", "tokens"))
+    del docs, full  # their files go: what follows needs the sets and these few columns only
+    docs = small
+    release(documents.sparkSession)
     prefix = F.col("n") - F.floor((alike.percent * F.col("n") + 99) / 100) + 1
     rows = nodes.select("id", "n", "unshared", "central", F.posexplode(F.slice("tokens", F.lit(1), F.least((prefix - F.col("unshared")).cast("int"), F.size("tokens")))).alias("at", "token"))
-    rows = rows.select("token", "id", "n", "central", (F.col("at") + F.col("unshared")).alias("pos"))
+    rows = rows.select("token", "id", "n", "central", (F.col("at") + F.col("unshared")).alias("pos"), band(F.col("n"), alike.percent / 100).alias("band"))
     # rows sharing a doc_id are one document: their classes link
     several = docs.where("n > 0").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     same = docs.join(several, "doc_id").join(sets, ["print1", "print2", "n"]).select(F.col("doc_id").alias("u"), F.col("id").alias("v"))

@@ -7,12 +7,13 @@ rounds pair only rows of different components, again as stars but of the rows th
 such pairs, whatever the stars found. It is left out only where no token has rows of several components. A group of n near
 copies thus costs about n pairs, while no link between two components is left unverified.
 
-In the last round a token of many rows is dealt out: its rows form parts of about `cell` rows, and each two parts meet under a key
-of their own, so no task has all pairs of a token.
+In the last round only rows of like size meet: each token is split by `band`, and rows meet those of their own band and the next. A token of
+many rows is dealt out further: its rows form parts of about `cell` rows, and each two parts meet under a key of their own, so no task has all pairs of a token.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,11 @@ from .lineage import cut, release
 Fits = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
+def band(size: Column, similarity: float) -> Column:
+    """A number for a size, such that sizes of which the less is `similarity` of the greater or more have the same or neighbouring numbers."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / math.log(1.01 / similarity)).cast("int")
+
+
 def _met(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("id", "other_id").alias("u"), F.greatest("id", "other_id").alias("v")).distinct()
 
@@ -39,9 +45,11 @@ def _star_pairs(rows: DataFrame, centres: DataFrame, fits: Fits) -> DataFrame:
 def _all_pairs(rows: DataFrame, mixed: DataFrame, fits: Fits, cell: int) -> DataFrame:
     """Pairs of rows that share a token of `mixed` (token, rows); parts i <= j of a token meet under (token, i, j)."""
     parts = rows.join(mixed.select("token", F.ceil(F.col("rows") / cell).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("id", "token"), F.col("parts")).cast("int"))
+    # two rows meet in the higher of their bands
+    parts = parts.withColumn("level", F.explode(F.array("band", F.col("band") + 1)))
     first = parts.withColumn("i", F.col("part")).withColumn("j", F.explode(F.sequence("part", F.col("parts") - 1))).drop("part", "parts")
     second = parts.withColumn("j", F.col("part")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("part")))).drop("part", "parts")
-    joined = first.join(_other(second, "token", "i", "j"), ["token", "i", "j"])
+    joined = first.join(_other(second, "token", "level", "i", "j"), ["token", "level", "i", "j"]).where(F.col("level") == F.greatest("band", "other_band"))
     # two rows of one part meet in both orders
     return _met(joined.where((F.col("i") < F.col("j")) | (F.col("comp") < F.col("other_comp"))).where(fits(F.col, lambda c: F.col(f"other_{c}"))))
 
@@ -56,10 +64,11 @@ def _mixed(rows: DataFrame) -> DataFrame:
 def link(rows: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], given: DataFrame | None = None, stars: int = 2, cell: int = 2048) -> DataFrame:
     """node, component of every row with a link.
 
-    rows: token, id, central and whatever columns `fits` compares. given: links u, v known before.
+    rows: token, id, central, perhaps band, and whatever columns `fits` compares. given: links u, v known before.
     verify: of distinct pairs u < v to those that are links. cell: rows of a token that meet in one place in the last round.
     """
     apart: Fits = lambda a, b: (a("comp") != b("comp")) & fits(a, b)
+    rows = rows if "band" in rows.columns else rows.withColumn("band", F.lit(0))
     own = [c for c in rows.columns if c != "token"]
     nothing = rows.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
     label, tried, links = None, None, given

@@ -44,7 +44,7 @@ from .sketch import among
 from .words import Digests, Words, mix, text_slices
 
 #: Starts of passages that a task gathers before it sends them.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: A min-hash value of more windows than this is hot; of these, so many at most are told to all tasks (64 bits each).
 HOT, MOST_HOT = 1024, 1_000_000
 #: Low bits of a value that tell its hash function.
@@ -655,8 +655,8 @@ def _alike(stretches: DataFrame, texts: DataFrame, settings: Settings) -> DataFr
 
 
 def bucket_count(items: float) -> int:
-    """A power of two: buckets of about a million items, of up to 16 million where there are very many."""
-    return 1 << max(6, int(np.ceil(np.log2(max(min(items / 1e6, 4096), items / 16e6, 1)))))
+    """A power of two: buckets of about half a million items, of up to 8 million where there are very many."""
+    return 1 << max(6, int(np.ceil(np.log2(max(min(items / 5e5, 8192), items / 8e6, 1)))))
 
 
 def passages(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
