@@ -160,8 +160,8 @@ def test_dedup_lines_with_clashing_names(spark):
 
 
 def test_long_and_repeated_lines(spark):
-    long = prose(77, 40000)
-    rows = spark.createDataFrame([(1, long), (1, long), (2, edited(long, 1, 3)), (None, long), (3, "x " * 40000)], "doc_id bigint, text string")
+    long = prose(77, 15000)
+    rows = spark.createDataFrame([(1, long), (1, long), (2, edited(long, 1, 3)), (None, long), (3, "x " * 15000)], "doc_id bigint, text string")
     got = sorted(((x.doc_id or 0, x.kept) for x in lines.occurrences(rows).collect()), key=repr)
     assert got == [(0, False), (1, True), (1, True), (2, False)]
 
