@@ -88,46 +88,34 @@ def _single(values: list[str]) -> dict | None:
     return next(iter(_addresses(values[:1])), None)
 
 
+#: What a structured header is made of outside comments (quoted strings whole) and inside them (RFC 5322).
+_OUTSIDE = re.compile(r'"(?:\\.|[^"\\])*"?|\\.?|[();]|[^"\\();]+', re.DOTALL)
+_INSIDE = re.compile(r"\\.?|[()]|[^\\()]+", re.DOTALL)
+
+
+def _tokens(value: str) -> Iterator[tuple[str, bool]]:
+    """The parts of a structured header, and whether each belongs to a comment."""
+    at = depth = 0
+    while at < len(value):
+        part = (_INSIDE if depth else _OUTSIDE).match(value, at)[0]
+        at += len(part)
+        before, depth = depth, max(0, depth + {"(": 1, ")": -1}.get(part, 0))
+        yield part, before > 0 or depth > 0
+
+
 def clauses(value: str) -> list[str]:
-    """Parts between semicolons that lie outside quotes and nested comments."""
-    out, depth, quoted, escaped, own = [], 0, False, False, []
-    for c in value:
-        if escaped:
-            escaped = False
-        elif c == "\\" and (quoted or depth):
-            escaped = True
-        elif c == '"' and not depth:
-            quoted = not quoted
-        elif not quoted and c in "()":
-            depth = max(0, depth + (1 if c == "(" else -1))
-        elif c == ";" and not quoted and not depth:
-            out.append("".join(own))
-            own = []
-            continue
-        own.append(c)
-    return [*out, "".join(own)]
+    """A header's clauses: what semicolons outside quotes and comments divide."""
+    out = [[]]
+    for part, comment in _tokens(value):
+        if part == ";" and not comment:
+            out.append([])
+        else:
+            out[-1].append(part)
+    return ["".join(x) for x in out]
 
 
 def without_comments(value: str) -> str:
-    out, depth, escaped = [], 0, False
-    for c in value:
-        if escaped:
-            escaped = False
-            if depth:
-                continue
-        elif c == "\\":
-            escaped = True
-            if depth:
-                continue
-        elif c == "(":
-            depth += 1
-            continue
-        elif c == ")" and depth:
-            depth -= 1
-            continue
-        if not depth:
-            out.append(c)
-    return "".join(out)
+    return "".join(part for part, comment in _tokens(value) if not comment)
 
 
 def server_id(value: str) -> str:
