@@ -124,7 +124,10 @@ def chosen(documents: DataFrame, **settings) -> DataFrame:
 
 def mix(documents: DataFrame, **settings) -> DataFrame:
     """A sample of `documents`, all columns, whose token shares follow the targets."""
-    return chosen(documents, **settings).where("_kept").select(*[documents[c] for c in documents.columns])
+    # a caller's row travels as one struct: its columns can't clash with ours
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    kept = chosen(documents.select("doc_id", "text", "source", "lang", whole), **settings).where("_kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,10 @@ def test_mixing_defaults_and_empty(spark):
     rows = spark.createDataFrame([(1, "a b c", "s", "en"), (2, None, None, None), (None, "z", "s", "en")], "doc_id bigint, text string, source string, lang string")
     assert {r.doc_id for r in mixing.chosen(rows).collect()} == {1, 2, None}
     assert mixing.mix(rows.limit(0)).count() == 0
+
+
+def test_mixing_with_clashing_names(spark):
+    names = ("_tokens", "_source", "_lang", "_topic", "_p", "_kept", "row", "_mix_p")
+    rows = spark.createDataFrame([(k, "a b c", "s", "en", *names) for k in range(3)] + [(3, None, "s", None, *names)], "doc_id bigint, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(rows)
+    assert got.columns == rows.columns and sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.collect())
