@@ -2,7 +2,7 @@
 
 Documents count by their tokens (words between white space). Cells are (source, lang, topic); one
 aggregation gives each cell's tokens. Raking (Deming and Stephan 1940) scales the cells in turn to the target
-share of each source, language and topic, `rounds` times; what it fits is one factor per value
+share of each source, language and topic, `rounds` times at least and until all marginals are within TOLERANCE; what it fits is one factor per value
 of each dimension. A document is kept with probability proportional to its cell's raked
 over its actual tokens, scaled so that no cell needs more than it has; the choice hashes doc_id, so it is the same
 in every run.
@@ -20,6 +20,8 @@ the rest scaled up; an empty table gives no rows. Other columns pass through.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,9 @@ DIMENSIONS = ("source", "lang", "topic")
 WORD = r"[^ \t\n\x0B\f\r]+"
 #: Powers of the values' own shares that give the targets where none are given.
 TEMPER = {"source": 0.7, "lang": 1.0, "topic": 1.0}
-ROUNDS = 6
+#: Rounds of raking that are always made, and how many at most; after the first ones, raking ends where no marginal is off by more than this share of all tokens.
+ROUNDS, MOST_ROUNDS = 6, 40
+TOLERANCE = 1e-9
 #: A list of cells of so many rows at most is broadcast; a longer one is joined by key.
 MOST_BROADCAST = 100_000
 
@@ -76,14 +80,27 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for d in DIMENSIONS:
         frame = frame.join(wanted[d].withColumnRenamed("want", f"want_{d}"), d)
     frame = cut(frame)
-    for k in range(rounds):
+    for k in range(MOST_ROUNDS):
+        if k >= rounds and off(frame) <= TOLERANCE:
+            break
         for d in DIMENSIONS:
             now = frame.groupBy(d).agg(F.sum("raked").alias("have"))
             frame = frame.join(now, d).withColumn("raked", F.col("raked") * F.when(F.col("have") > 0, F.col(f"want_{d}") / F.col("have")).otherwise(0.0)).drop("have")
         frame = cut(frame)
+    else:
+        if (rest := off(frame)) > TOLERANCE:
+            warnings.warn(f"after {MOST_ROUNDS} rounds a marginal is off by {rest:.2g} of all tokens: the cells may not allow these targets together", stacklevel=2)
     return frame.select(*DIMENSIONS, "t", "raked")
 
 
+def off(frame: DataFrame) -> float:
+    """The largest distance of a marginal from its target, as a share of all tokens. One number reaches the driver."""
+    sums = [frame.groupBy(F.col(d).alias("value")).agg(F.sum("raked").alias("have"), F.max(f"want_{d}").alias("want")) for d in DIMENSIONS]
+    every = sums[0].unionByName(sums[1]).unionByName(sums[2])
+    most, total = every.agg(F.max(F.abs(F.col("have") - F.col("want"))), F.sum("want") / len(DIMENSIONS)).first()
+    return most / total if total else 0.0
+
+
 def cells_of(documents: DataFrame) -> DataFrame:
     """source, lang, topic, t: the tokens of each cell."""
     own = described(documents).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("t"))

@@ -88,3 +88,13 @@ def test_mixing_with_clashing_names(spark):
     rows = spark.createDataFrame([(k, "a b c", "s", "en", *names) for k in range(3)] + [(3, None, "s", None, *names)], "doc_id bigint, text string, source string, lang string, " + ", ".join(f"{n} string" for n in names))
     got = mixing.mix(rows)
     assert got.columns == rows.columns and sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.collect())
+
+
+def test_raking_goes_on_until_the_targets_are_met(spark):
+    # source and language tell of each other: six rounds are too few
+    cells = spark.createDataFrame([("a", "x", "t", 6000), ("a", "y", "t", 900), ("b", "x", "t", 1200), ("b", "y", "t", 1900)], "source string, lang string, topic string, t bigint")
+    want = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.45, "y": 0.55}, "topic": {"t": 1.0}}
+    raked = mixing.rake(cells, {d: spark.createDataFrame([*w.items()], "value string, share double") for d, w in want.items()}).toPandas()
+    for d, shares in want.items():
+        own = raked.groupby(d).raked.sum() / raked.raked.sum()
+        assert all(abs(own[v] - s) < 1e-8 for v, s in shares.items())
