@@ -1,6 +1,8 @@
 """Line dedup, n-gram Jaccard join, substring dedup, components and license scans, against brute force."""
 
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievelark.llm import components as C
-from sievelark.llm import jaccard, licenses, lines, substring
+from sievelark.llm import jaccard, licenses, lines, prefixes, substring
 from sievelark.llm.words import Words, sorted_sets
 
 WORDS = [a + b for a in ("al", "ber", "cor", "dun", "es", "fal") for b in ("a", "en", "is", "or", "um", "yx")]
@@ -151,6 +153,82 @@ def test_line_groups_by_brute_force(spark):
     assert len({g for g, _ in got.values()}) == sum(k for _, k in got.values())
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(last[j + 1] + 1, row[j] + 1, last[j] + (x != y)))
+    return row[-1]
+
+
+def enough_alike(a, b):
+    """Whether lines (arrays of words) are links that must be found: by words, or by characters with half of the words shared."""
+    m, n = len(" ".join(a)), len(" ".join(b))
+    if max(m, n) > 128:
+        return 5 * distance(a, b) <= max(len(a), len(b))
+    common = sum((Counter(a) & Counter(b)).values())
+    return 2 * common >= max(len(a), len(b)) and 5 * abs(m - n) <= max(m, n) and 5 * distance(" ".join(a), " ".join(b)) <= max(m, n)
+
+
+def test_no_link_between_lines_that_share_enough_words_is_lost(spark):
+    """All of them: lines of two words and more, words that repeat, typing errors, words replaced, moved in and left out."""
+    r, forms = random.Random(11), []
+    for k in range(160):
+        own = [r.choice(WORDS) for _ in range(2 + k % 40)]
+        for _ in range(3):
+            new = list(own)
+            for _ in range(1 + len(own) // r.choice([4, 6, 12])):
+                at = r.randrange(len(new))
+                kind = r.randrange(4)
+                if kind == 0:
+                    new[at] = new[at][:-1] + r.choice("aeioxyz")
+                elif kind == 1:
+                    new[at] = r.choice(WORDS)
+                elif kind == 2:
+                    new.insert(at, r.choice(WORDS))
+                elif len(new) > 2:
+                    del new[at]
+            forms.append(new)
+        forms.append(own)
+    # frequent words have another way to meet: make all of these frequent
+    forms += [[w, "number", *("i" * (1 + k % 7) + "v" * (k // 7)).split()] for w in WORDS for k in range(2)]
+    forms = sorted({tuple(f) for f in forms})
+    rows = spark.createDataFrame([(i, " ".join(f)) for i, f in enumerate(forms)], "doc_id bigint, text string")
+    links = [(i, j) for i in range(len(forms)) for j in range(i) if enough_alike(forms[i], forms[j])]
+    got = {x.doc_id: x.group_id for x in lines.occurrences(rows).collect()}
+    assert len(links) > 300 and not [(forms[i], forms[j]) for i, j in links if i not in got or got[i] != got.get(j)]
+
+
+def test_tokens_meet_whatever_is_frequent():
+    """Any two lines that share enough words share a token, whether none, some or all words are listed as frequent."""
+    import numpy as np
+    import pyarrow as pa
+
+    r, forms = random.Random(12), []
+    for k in range(60):
+        own = [r.choice(WORDS) + r.choice(["", "a", "b"]) for _ in range(r.choice([2, 3, 5, 9, 30, 70]) if k else 480)]
+        forms += [" ".join(own), *(" ".join(edited(" ".join(own), k * 9 + e, max(1, len(own) // 6)).split(" ") + own[: len(own) // 9]) for e in range(3))]
+    forms = sorted(set(forms))
+    texts, split = pa.array(forms), [f.split(" ") for f in forms]
+    words, many = prefixes.counts(texts)
+    for least in (0, 6, 20, 10**9):
+        listed = words[many > least]
+        rank = np.argsort(np.argsort(many[many > least], kind="stable")) + 1
+        held = [set() for _ in forms]
+        for row, token in prefixes.tokens(texts, np.array([len(f) for f in forms]), listed, rank, Fraction("0.8")):
+            for i, t in zip(row.tolist(), token.tolist(), strict=True):
+                held[i].add(t)
+        seen = 0
+        for i, a in enumerate(split):
+            for j, b in enumerate(split[:i]):
+                longer, common = max(len(a), len(b)), sum((Counter(a) & Counter(b)).values())
+                if common >= ((longer + 1) // 2 if max(len(forms[i]), len(forms[j])) <= 128 else longer - longer // 5):
+                    seen += 1
+                    assert held[i] & held[j], (forms[i], forms[j])
+        assert seen > 50
+
+
 def test_dedup_lines_with_clashing_names(spark):
     names = ("gone_places", "places", "row", "own", "key", "rest", "doc_id_", "print")
     rows = spark.createDataFrame([(1, "one two three four\nlast line", *names), (2, "other words here\nOne, two; three four", *names)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
