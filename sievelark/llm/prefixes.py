@@ -27,7 +27,7 @@ from .words import Words, mix, text_slices
 #: Lines of more characters are compared by words.
 LONG = 128
 #: Lines that a word may be in to count as rare, and most rows of a token of which all pairs are made in one place.
-RARE = 64
+RARE = 128
 #: Frequent words that are listed, the most frequent ones first; the list orders elements, so its end costs time only.
 LISTED = 1 << 18
 #: From how many words lines have single tokens.
@@ -122,21 +122,25 @@ def packed(ids: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ids << (SIZE_BITS + WORD_BITS) | small
 
 
-def _fit(a: np.ndarray, b: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """Whether the numbers of characters and words of packed lines allow a link."""
+def _fit(a: np.ndarray, b: np.ndarray, bits: np.ndarray, similarity: Fraction) -> np.ndarray:
+    """Whether the numbers of characters and words of packed lines, and the bits in which their sketches differ, allow a link."""
     full = (1 << WORD_BITS) - 1
     w, v = a & full, b & full
     n, m = a >> WORD_BITS & ((1 << SIZE_BITS) - 1), b >> WORD_BITS & ((1 << SIZE_BITS) - 1)
     few = np.maximum(n, m) <= LONG
     near = np.minimum(n, m) * similarity.denominator >= np.maximum(n, m) * similarity.numerator
     longer = np.maximum(w, v)
-    return (~few | near) & ((longer == full) | (np.minimum(w, v) >= least_common(longer, few, similarity)))
+    common = least_common(longer, few, similarity)
+    return (~few | near) & ((longer == full) | ((np.minimum(w, v) >= common) & (bits <= w + v - 2 * common)))
 
 
-def meet(token: np.ndarray, line: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
-    """(None, u, v): numbers u < v of lines that share a token of up to RARE rows, in all pairs; (token, u, u): the rows of the other tokens."""
+def meet(token: np.ndarray, line: np.ndarray, sketch: np.ndarray, similarity: Fraction) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
+    """(None, u, v): numbers u < v of lines that share a token of up to RARE rows, in all pairs; (token, u, u): the rows of the other tokens.
+
+    line: packed; sketch: the lanes of each line's sketch, folded into one.
+    """
     order = np.argsort(token, kind="stable")
-    token, line = token[order], line[order]
+    token, line, sketch = token[order], line[order], sketch[order]
     begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     many = np.diff(np.append(begin, len(token)))
     end = np.repeat(begin + many, many)
@@ -150,7 +154,8 @@ def meet(token: np.ndarray, line: np.ndarray, similarity: Fraction) -> Iterator[
     cuts = np.searchsorted(made, np.arange(STEP, made[-1] + STEP, STEP)) if len(made) else []
     for part in np.split(some, np.unique(cuts)) if len(made) else []:
         i, j = _twos(end[part], part)
-        fits = _fit(line[i], line[j], similarity)
+        # of signed numbers, numpy counts the bits of the magnitude
+        fits = _fit(line[i], line[j], np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)), similarity)
         u, v = line[i[fits]] >> shift, line[j[fits]] >> shift
         u, v = np.minimum(u, v)[u != v], np.maximum(u, v)[u != v]
         if len(u):
