@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, discard, release
 from .topk import finite
 
 
@@ -172,9 +172,14 @@ def build(vectors: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The graph: id, others, scores (packed), near (array of ids, nearest first). vectors: id, v (packed 16-bit floats)."""
     count, size = vectors.agg(F.count("*"), F.max(F.octet_length("v"))).first()
     graph = cut(_merged(_first(vectors, settings, count, (size or 0) // 2), settings.k))
+    release(graph.sparkSession)
     for _ in range(settings.rounds if count > settings.k + 1 else 0):
         offers = _local_joins(graph, vectors, settings).unionByName(graph.select("id", "others", "scores"))
-        graph = cut(_merged(offers, settings.k))
+        graph, last = cut(_merged(offers, settings.k)), graph
+        # a round's shuffles are its largest files
+        discard(last)
+        del offers
+        release(graph.sparkSession)
     return graph
 
 
@@ -211,7 +216,10 @@ def search(queries: DataFrame, graph: DataFrame, vectors: DataFrame, settings: S
         go = beam.where("open").withColumn("n", F.row_number().over(turn)).where(F.col("n") <= settings.width).select("q", "id")
         found = go.join(graph.select("id", "near"), "id").select("q", F.explode("near").alias("id")).distinct().withColumn("open", F.lit(True))
         shut = beam.join(go.withColumn("went", F.lit(True)), ["q", "id"], "left").select("q", "id", (F.col("open") & F.col("went").isNull()).alias("open"))
-        beam = cut(score(shut.unionByName(found)))
+        beam, last = cut(score(shut.unionByName(found))), beam
+        discard(last)
+        del go, found, shut
+        release(graph.sparkSession)
     return beam.select(F.col("q").alias("query_id"), F.col("id").alias("vec_id"))
 
 

@@ -65,3 +65,12 @@ def test_ann_few_rows(spark, table):
     rows = ann.nearest(table.where("vec_id < 4"), F.col("id") % 2 == 0)
     assert rows.count() == 6
     assert ann.nearest(table.limit(0), F.col("id") % 2 == 0).count() == 0
+
+
+def test_ann_lets_go_of_each_round(spark, table, monkeypatch):
+    """Shuffles of a round are let go of before the next one."""
+    calls = []
+    monkeypatch.setattr(ann, "release", lambda own: calls.append(own))
+    small = ann.Settings(k=5, reverse=5, offers=3, rounds=2, tables=1, block=64, beam=10, width=5, steps=2)
+    assert ann.nearest(table.where("vec_id < 200"), F.col("id") % 20 == 0, k=3, settings=small).count() == 30
+    assert len(calls) == 1 + small.rounds + small.steps
